@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from breathline.llm import op2
+from breathline.llm import op1, op2, op8
 
 _QUERIES = {
+    "op1_warc": op1,
     "op2_exact_dedup": op2,
+    "op8_secrets": op8,
 }
 
 
