@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from breathline.llm import op1, op2, op8, op10
+from breathline.llm import op1, op2, op8, op9, op10
 
 _QUERIES = {
     "op1_warc": op1,
     "op2_exact_dedup": op2,
     "op8_secrets": op8,
+    "op9_toxicity": op9,
     "op10_quality": op10,
 }
 
