@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from breathline.llm import op1, op2, op4, op5, op7, op8, op9, op10
+from breathline.llm import op1, op2, op3, op4, op5, op7, op8, op9, op10
 
 _QUERIES = {
     "op1_warc": op1,
     "op2_exact_dedup": op2,
+    "op3_suffix_tree": op3,
     "op4_url_filter": op4,
     "op5_pieces": op5,
     "op7_decontamination": op7,
