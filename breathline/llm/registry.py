@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from breathline.llm import op1, op2, op3, op4, op5, op7, op8, op9, op10
+from breathline.llm import op1, op2, op3, op4, op5, op6, op7, op8, op9, op10
 
 _QUERIES = {
     "op1_warc": op1,
@@ -10,6 +10,7 @@ _QUERIES = {
     "op3_suffix_tree": op3,
     "op4_url_filter": op4,
     "op5_pieces": op5,
+    "op6_jaccard_join": op6,
     "op7_decontamination": op7,
     "op8_secrets": op8,
     "op9_toxicity": op9,
