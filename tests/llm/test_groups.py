@@ -3,6 +3,8 @@
 import random
 import re
 
+import pytest
+
 from breathline.llm.exact_dedup import exact_groups
 from breathline.llm.jaccard_join import jaccard_groups
 
@@ -22,8 +24,24 @@ def corpus():
     return rows
 
 
-def test_similarity_groups(spark):
-    rows = corpus()
+def large_group():
+    """Near copies in chains, a passage in every text, repeated rows and a text of other words under a used id."""
+    rng = random.Random(5)
+    passage = [f"p{i}" for i in range(12)]
+    rows = []
+    for group in range(2):
+        words = [f"g{group}w{i}" for i in range(50)] + passage
+        for n in range(70):
+            copy = list(words)
+            for at in rng.sample(range(50), rng.randint(0, 3)):
+                copy[at] = f"x{rng.randint(0, 30)}"
+            rows.append((1000 - len(rows), " ".join(copy)))
+    for n in range(40):
+        rows.append((2000 + n, " ".join([f"o{n}v{i}" for i in range(30)] + passage)))
+    return rows
+
+
+def links_of(rows):
     sets = {}
     for i, text in rows:
         w = SPLIT.findall((text or "").lower().encode())
@@ -41,8 +59,24 @@ def test_similarity_groups(spark):
             if a < b and both and 100 * both >= 80 * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
-    got = jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (len(sets[i]), find(i)) for i in sets}
+    return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+@pytest.mark.parametrize("rows, rounds", [(corpus(), 6), (large_group(), 6), (large_group(), 1), (large_group(), 0)])
+def test_similarity_groups(spark, rows, rounds):
+    got = jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string"), slots=1 << 10, rounds=rounds).collect()
+    assert len(got) == len(rows)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == links_of(rows)
+
+
+def test_similarity_of_odd_rows(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(None, text, 1), (4, text, 2), (4, text, 3), (4, "other words here", 4), (9, text + " more", 5), (None, None, 6), (8, "OTHER words HERE", 7)]
+    schema = "doc_id long, text string, id long"
+    got = sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in jaccard_groups(spark.createDataFrame(rows, schema)).collect())
+    want = [("4", 1, 4), ("4", 36, 4), ("4", 36, 4), ("8", 1, 4), ("9", 37, 4), ("None", 0, None), ("None", 36, None)]
+    assert got == want
+    assert jaccard_groups(spark.createDataFrame([], schema)).collect() == []
 
 
 def test_colliding_hashes_do_not_merge_texts(spark):
