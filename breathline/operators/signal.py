@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from breathline.operators.frames import centred, median, rolling
+from breathline.operators.frames import centred, islands, median, rolling
+from breathline.operators.grid import second
 
 FLAT_TOLERANCE = 1e-3
 SPIKE_FLOOR = 1e-9
+KINDS = ("spike", "flatline", "clipping", "drift")
 
 
 def scale(df: DataFrame, keys: list[str], value: str) -> Column:
@@ -62,3 +64,61 @@ def distribution(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     out = got.select(*keys, "n", *cols, "mean", skew.alias("skew"), kurt.alias("kurtosis"))
     denom = F.col("kurtosis") + 3 * (n - 1) ** 2 / ((n - 2) * (n - 3))
     return out.withColumn("bimodality", F.when((n > 3) & (denom > 0), F.least((F.col("skew") ** 2 + 1) / denom, F.lit(1.0))))
+
+def flag_drift(df: DataFrame, keys: list[str], value: str, ts: str = "ts", window_s: float = 300.0, tolerance: float = 0.5) -> DataFrame:
+    """``drift``: the trailing mean of the per-second medians is far from their median.
+
+    Far is more than ``tolerance`` of their deviation. Keys with fewer seconds than the
+    window have no drift.
+    """
+    width = max(2, round(window_s))
+    env = df.groupBy(*keys, second(ts).alias("__sec")).agg(median(F.col(value)).alias("__m"))
+    whole = Window.partitionBy(*keys)
+    trailing = F.avg("__m").over(whole.orderBy("__sec").rowsBetween(-(width - 1), 0))
+    spread = F.coalesce(F.nullif(F.stddev_pop("__m").over(whole), F.lit(0.0)), F.lit(1e-9))
+    off = F.abs(trailing - median(F.col("__m")).over(whole)) > tolerance * spread
+    env = env.select(*keys, "__sec", (F.coalesce(off, F.lit(False)) & (F.count(F.lit(1)).over(whole) >= width)).alias("drift"))
+    return df.withColumn("__sec", second(ts)).join(env, [*keys, "__sec"]).drop("__sec")
+
+
+def artifacts(df: DataFrame, keys: list[str], value: str, ts: str = "ts", tie: str = "seq", lo: float | None = None, hi: float | None = None, factor: float = 25.0, window_s: float = 300.0, tolerance: float = 0.5) -> DataFrame:
+    """``df`` with the flags spike, flatline, clipping and drift, and ``in_qc`` where any is set."""
+    order = [ts, tie]
+    out = flag_spikes(df, keys, order, value, factor)
+    out = flag_drift(flag_clipping(flag_flatline(out, keys, order, value), value, lo, hi), keys, value, ts, window_s, tolerance)
+    return out.withColumn("in_qc", F.col("spike") | F.col("flatline") | F.col("clipping") | F.col("drift"))
+
+
+def artifact_intervals(flagged: DataFrame, keys: list[str], ts: str = "ts", tie: str = "seq") -> DataFrame:
+    """(keys, start, end, n, kind): runs of flagged samples; the end is the last one."""
+    parts = [islands(flagged, keys, [ts, tie], kind).withColumn("kind", F.lit(kind)) for kind in KINDS]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def quality_report(flagged: DataFrame, intervals: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key: samples, samples without any flag, their share, and the intervals by kind."""
+    total = flagged.groupBy(*keys).agg(F.count(F.lit(1)).alias("total_samples"), F.count_if(~F.col("in_qc")).alias("valid_samples"))
+    kinds = intervals.groupBy(*keys).agg(*[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in KINDS])
+    return total.withColumn("valid_pct", 100 * F.col("valid_samples") / F.col("total_samples")).join(kinds, keys, "left").fillna(0, [f"n_{k}" for k in KINDS])
+
+
+def night_blocks(df: DataFrame, keys: list[str], value: str, ts: str = "ts", tie: str = "seq", bed_start: str = "22:00:00", bed_end: str = "07:00:00", min_activity: float | None = None) -> DataFrame:
+    """(keys, start, activity_mean, activity_std, active) of the hours of the night that have samples.
+
+    Activity is the range over 125 rows; a block is active from the tenth percentile of
+    the positive ranges of the whole key on. A last sample on the full hour is left out.
+    """
+    frame = centred(keys, [ts, tie], 125)
+    amp = rolling(F.col(value), F.max, frame, 20) - rolling(F.col(value), F.min, frame, 20)
+    rows = df.withColumn("__amp", amp)
+    whole = Window.partitionBy(*keys)
+    least = F.lit(min_activity) if min_activity is not None else F.coalesce(F.percentile(F.when(F.col("__amp") > 0, F.col("__amp")), F.lit(0.1)).over(whole), F.lit(1e-12))
+    clock = F.date_format(ts, "HH:mm:ss")
+    rows = rows.withColumn("__least", least).filter((clock >= bed_start) | (clock < bed_end))
+    hour = F.date_trunc("hour", ts).cast("timestamp_ntz")
+    rows = rows.withColumn("start", hour).withColumn("__last", F.max(ts).over(whole)).filter((F.col(ts) != F.col("__last")) | (F.col(ts) != F.col("start")))
+    got = rows.groupBy(*keys, "start").agg(F.avg("__amp").alias("activity_mean"), F.stddev_samp("__amp").alias("activity_std"), F.first("__least").alias("__least"))
+    return got.withColumn("active", F.coalesce(F.col("activity_mean") >= F.col("__least"), F.lit(False))).drop("__least")
