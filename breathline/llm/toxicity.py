@@ -25,6 +25,8 @@ DECAY = 0.6
 PATTERNS = [(a, b) for a, b in combinations(range(1, 5), 2)]
 #: Labelled rows of each class that the fit uses at most, by the order of a hash of the id.
 FIT_ROWS = 4000
+#: Bytes of the words that count, in the fit and in scoring alike.
+SHORTEST, LONGEST = 3, 24
 LANDMARKS = 64
 NEGATIVES = 6000
 #: A clean text that is rejected weighs as much as so many toxic ones that pass, by rate.
@@ -67,7 +69,8 @@ def word_scores(weights: np.ndarray, codes, starts, ends) -> np.ndarray:
     if not len(starts):
         return sums
     owner = np.zeros(len(codes) + 1, np.int64)
-    owner[starts] += 1
+    np.add.at(owner, starts, 1)
+    np.add.at(owner, ends, 1)  # what lies between words belongs to none of them
     owner = np.cumsum(owner[:-1])
     total = np.zeros(len(codes))
     for a, b in PATTERNS:
@@ -109,6 +112,8 @@ class Model:
         best = np.full(len(column), -1.0)
         for first, _, data, offsets in passes(column, PASS_BYTES // 2):
             codes, starts, ends, rows = _words(data, offsets)
+            fit = (ends - starts >= SHORTEST) & (ends - starts <= LONGEST)
+            starts, ends, rows = starts[fit], ends[fit], rows[fit]
             np.maximum.at(best, rows + first, word_scores(self.weights, codes, starts, ends))
         return 1 / (1 + np.exp(-np.clip(self.slope * best + self.offset, -50, 50)))
 
@@ -120,7 +125,7 @@ def _distinct(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data = np.frombuffer((text.as_py() or "").encode(), np.uint8)
             _, starts, ends, _ = _words(data, np.array([0, len(data)]))
             raw = LOWER[data].tobytes()
-            out.append(list({raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True) if 3 <= b - a <= 24}))
+            out.append(list({raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True) if SHORTEST <= b - a <= LONGEST}))
         yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(out, pa.list_(pa.binary()))], ["label", "words"])
 
 
@@ -190,11 +195,11 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
         weights = np.asarray(lift_map @ w[:-1], np.float64)
         worst = np.argsort(-_scores_of(weights, spread), kind="stable")[: NEGATIVES // 3]
         negative.update(spread[i] for i in worst)
-    good, bad = (np.array([_scores_of(weights, bag).max(initial=-1.0) for bag in part]) for part in (fair, bags))
+    good, bad = (np.array([_scores_of(weights, bag).max(initial=-1.0) for bag in part]).round(6) for part in (fair, bags))
     cuts = np.unique(np.concatenate([good, bad]))
-    cuts = (cuts[1:] + cuts[:-1]) / 2 if len(cuts) > 1 else cuts
+    cuts = np.append((cuts[1:] + cuts[:-1]) / 2, cuts[-1] + 0.5)  # the last one rejects nothing
     errors = [(good >= c).mean() * CLEAN_WEIGHT + (bad < c).mean() for c in cuts]
-    cut = float(np.median(cuts[np.flatnonzero(errors == np.min(errors))]))
+    cut = float(cuts[np.flatnonzero(errors == np.min(errors))[-1]])  # of equal ones the highest, which rejects least
     return Model(weights, 8.0, -8.0 * cut)
 
 
