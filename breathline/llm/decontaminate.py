@@ -28,6 +28,18 @@ def windows(benchmark: DataFrame, size: int) -> DataFrame:
     return items.select("item_id", F.explode(F.array_distinct(cut)).alias("ws")).withColumn("win", F.xxhash64("item_id", "ws"))
 
 
+def _ranked(tokens: DataFrame, wins: DataFrame) -> DataFrame:
+    """(win, off, term, k): the words of each window, k = 1 the rarest one in the corpus."""
+    places = wins.select("win", F.posexplode("ws").alias("off", "term"))
+    terms = materialise(places.select("term").distinct(), "terms")
+    counts = materialise(tokens.join(_maybe_broadcast(terms), "term").groupBy("term").agg(F.count(F.lit(1)).alias("df")), "counts")
+    return places.join(counts, "term", "left").withColumn("k", F.row_number().over(Window.partitionBy("win").orderBy(F.coalesce("df", F.lit(0)), "off")))
+
+
+def _postings(tokens: DataFrame, anchors: DataFrame) -> DataFrame:
+    return materialise(tokens.join(_maybe_broadcast(materialise(anchors.select("term").distinct(), "anchor_terms")), "term"), "postings")
+
+
 def phrase_hits(docs: DataFrame, benchmark: DataFrame, size: int = 13, rarest: int = 2) -> DataFrame:
     """(doc_id, item_id, start, length) of every exact occurrence of a window; start is a word position.
 
@@ -39,14 +51,11 @@ def phrase_hits(docs: DataFrame, benchmark: DataFrame, size: int = 13, rarest: i
     are joined by shuffle.
     """
     wins = materialise(windows(benchmark, size), "windows")
-    places = wins.select("win", F.posexplode("ws").alias("off", "term"))
-    terms = materialise(places.select("term").distinct(), "terms")
     tokens = docs.select("doc_id", F.posexplode(words(F.col("text"))).alias("pos", "term"))
-    counts = materialise(tokens.join(_maybe_broadcast(terms), "term").groupBy("term").agg(F.count(F.lit(1)).alias("df")), "counts")
-    ranked = places.join(counts, "term", "left").withColumn("k", F.row_number().over(Window.partitionBy("win").orderBy(F.coalesce("df", F.lit(0)), "off")))
+    ranked = _ranked(tokens, wins)
     anchors = materialise(ranked.filter(F.col("k") <= rarest).groupBy("win", "term", "off").agg(F.first("k").alias("k")), "anchors")
     need = materialise(anchors.groupBy("win").agg(F.countDistinct("off").alias("need")), "need")
-    postings = materialise(tokens.join(_maybe_broadcast(materialise(anchors.select("term").distinct(), "anchor_terms")), "term"), "postings")
+    postings = _postings(tokens, anchors)
     starts = postings.join(_maybe_broadcast(anchors.join(need, "win")), "term").select("doc_id", "win", (F.col("pos") - F.col("off")).alias("start"), "off", "need")
     cands = starts.filter("start >= 0").groupBy("doc_id", "win", "start").agg(F.countDistinct("off").alias("n"), F.first("need").alias("need")).filter("n = need")
     cands = cands.join(_maybe_broadcast(wins), "win").select("doc_id", F.struct("start", "item_id", "ws").alias("c"))
@@ -56,6 +65,39 @@ def phrase_hits(docs: DataFrame, benchmark: DataFrame, size: int = 13, rarest: i
     return checked.select("doc_id", F.explode(same).alias("c")).select("doc_id", "c.item_id", "c.start", F.size("c.ws").alias("length"))
 
 
+def proximity_hits(docs: DataFrame, benchmark: DataFrame, size: int = 13, slop: int = 2) -> DataFrame:
+    """(doc_id, item_id, start, length, matched) of every place where a window occurs nearly: words inserted, dropped or changed.
+
+    A window of n words tolerates t = min(slop, n // 4). It matches at ``start`` if at
+    least n - t of its words stand at their own offset from there or up to t places
+    later; of starts within t of each other the best one counts, then the last. Exact
+    occurrences match as well. At most t words can be missing, so one of the t + 1 rarest
+    is there: their postings give all candidates, which the document's words decide.
+    Null and empty texts match nothing; rows repeated under one doc_id each count.
+    """
+    wins = materialise(windows(benchmark, size).withColumn("t", F.least(F.lit(slop), F.floor(F.size("ws") / 4).cast("int"))), "windows")
+    tokens = docs.select("doc_id", F.posexplode(words(F.col("text"))).alias("pos", "term"))
+    anchors = materialise(_ranked(tokens, wins).join(_maybe_broadcast(wins.select("win", "t")), "win").filter("k <= t + 1").select("win", "term", "off", "t").distinct(), "anchors")
+    found = _postings(tokens, anchors).join(_maybe_broadcast(anchors), "term").withColumn("shift", F.col("pos") - F.col("off"))
+    found = found.select("doc_id", "win", F.explode(F.sequence(F.col("shift") - F.col("t"), F.col("shift"))).alias("start")).distinct()
+    found = found.join(_maybe_broadcast(wins), "win").groupBy("doc_id").agg(F.collect_list(F.struct("start", "item_id", "win", "ws", "t")).alias("cs"))
+    found = materialise(found, "candidates")
+    checked = docs.join(_maybe_broadcast(found) if found.count() < 20_000 else found, "doc_id").select("doc_id", words(F.col("text")).alias("w"), "cs")
+
+    def near(c: Column, o: Column) -> Column:
+        first = F.greatest(c["start"] + o, F.lit(0))
+        return F.slice("w", first + 1, F.greatest(c["start"] + o + c["t"] - first + 1, F.lit(0)))
+
+    def judged(c: Column) -> Column:
+        hit = F.filter(F.sequence(F.lit(0), F.size(c["ws"]) - 1), lambda o: F.array_contains(near(c, o), F.element_at(c["ws"], o + 1)))
+        return F.struct(c["start"].alias("start"), c["item_id"].alias("item_id"), c["win"].alias("win"), F.size(c["ws"]).alias("length"), c["t"].alias("t"), F.size(hit).alias("matched"))
+
+    good = checked.select("doc_id", F.filter(F.transform("cs", judged), lambda c: c["matched"] >= c["length"] - c["t"]).alias("cs")).filter(F.size("cs") > 0)
+    better = lambda c, d: (d["win"] == c["win"]) & (F.abs(d["start"] - c["start"]) <= c["t"]) & ((d["matched"] > c["matched"]) | ((d["matched"] == c["matched"]) & (d["start"] > c["start"])))
+    best = F.filter("cs", lambda c: ~F.exists("cs", lambda d: better(c, d)))
+    return good.select("doc_id", F.explode(best).alias("c")).select("doc_id", "c.item_id", F.greatest(F.col("c.start"), F.lit(0)).alias("start"), "c.length", "c.matched")
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13) -> DataFrame:
     """Per document: n_words, n_hit (words inside occurrences), n_items, items and ``contaminated`` (a twentieth or more hit)."""
     docs = docs.select("doc_id", "text")
