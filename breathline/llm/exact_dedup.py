@@ -60,8 +60,9 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs`` whose text is not a copy, with all columns.
 
     One row per distinct text stays, that with the smallest id (``keep='max'``: the
-    largest). Rows repeated under the same id and text all stay, and so do rows with
-    a null id.
+    largest). Rows are told apart by id and text: another text under a dropped row's id
+    stays. Rows repeated under the same id and text all stay, and so do rows with a null id.
     """
-    dropped = exact_groups(docs, id_col, text_col, keep).filter(~F.col("kept")).select(F.col(id_col).alias("id")).distinct()
-    return without(docs, materialise(dropped, "copies"), id_col)
+    dropped = exact_groups(docs, id_col, text_col, keep).filter(F.col(id_col).isNotNull() & ~F.col("kept"))
+    dropped = dropped.select(F.col(id_col).alias("id"), F.col("text_sha256").alias("th")).distinct()
+    return without(docs, materialise(dropped, "copies"), id_col, text_col, by=lambda text: F.sha2(text.cast("binary"), 256))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A lookup table is broadcast whole up to so many rows (of ids, hashes and counts: at most some 60 MB).
@@ -34,13 +36,19 @@ def lookup(left: DataFrame, right: DataFrame, key: str, rows_per_key: str, total
     return on_hot.unionByName(rest.join(cold, key, how))
 
 
-def without(docs: DataFrame, dropped: DataFrame, id_col: str) -> DataFrame:
-    """The rows of ``docs`` whose id is not in the materialised table ``dropped`` (column ``id``).
+def text_hash(text: Column) -> Column:
+    """The 128-bit hash that tells texts under one id apart."""
+    return F.unhex(F.md5(text.cast("binary")))
+
+
+def without(docs: DataFrame, dropped: DataFrame, id_col: str, text_col: str, by: Callable[[Column], Column] = text_hash) -> DataFrame:
+    """The rows of ``docs`` whose id and text are not in the materialised table ``dropped`` (columns ``id`` and ``th``, made by ``by``).
 
-    The ids to drop are broadcast after they were counted, else both sides are
-    shuffled by the id. Rows with a null id stay.
+    What to drop is broadcast after it was counted, else both sides are shuffled by
+    both columns. Rows with a null id stay.
     """
-    ids = dropped.select(F.col("id").alias("__dropped"))
-    if is_small(ids):
-        ids = F.broadcast(ids)
-    return docs.join(ids, docs[f"`{id_col}`"] == ids["__dropped"], "left_anti")
+    rows = dropped.select(F.col("id").alias("__dropped"), F.col("th").alias("__th"))
+    if is_small(rows):
+        rows = F.broadcast(rows)
+    same = (docs[f"`{id_col}`"] == rows["__dropped"]) & (by(F.coalesce(docs[f"`{text_col}`"], F.lit(""))) == rows["__th"])
+    return docs.join(rows, same, "left_anti")
