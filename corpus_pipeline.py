@@ -6,17 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from breathline.llm import decontaminate, exact_dedup, jaccard_join, pieces, toxicity
-from breathline.llm.skew import without
 from breathline.llm.storage import materialise
 
 
 def _reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score one half or more go; the labels of the held-out fifth are not used."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("id"), F.col("toxic").alias("label"))
-    rows = docs.select(F.col("doc_id").alias("id"), "text")
-    model = toxicity.fit(rows, labels.filter(F.crc32(F.col("id").cast("string").cast("binary")) % 5 != 0))
-    rejected = toxicity.score(rows, model).filter("score >= 0.5").select("id")
-    return without(docs, materialise(rejected, "toxic"), "doc_id")
+    model = toxicity.fit(docs.select(F.col("doc_id").alias("id"), "text"), labels.filter(F.crc32(F.col("id").cast("string").cast("binary")) % 5 != 0))
+    return toxicity.keep_clean(docs, model)
 
 
 def _drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,15 +22,13 @@ def _drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def _drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the smallest doc_id stays."""
-    groups = jaccard_join.jaccard_groups(docs)
-    return without(docs, materialise(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("id")), "near"), "doc_id")
+    """Of each group of linked documents the one with the smallest doc_id stays."""
+    return jaccard_join.keep_one(docs)
 
 
 def _drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a twentieth or more of their words in benchmark windows go."""
-    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return without(docs, materialise(found.filter("contaminated").select(F.col("doc_id").alias("id")), "contaminated"), "doc_id")
+    return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def _encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
