@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from breathline.operators.frames import median
+from breathline.operators.frames import median, null_safe_join
 from breathline.operators.grid import micros
+from breathline.operators.signal import distribution
 
 BASELINE_S, PEAK_FACTOR = 45.0, 12.0
 BREATH_S = (0.25, 8.0)
@@ -67,17 +68,23 @@ def bin_edges(x: np.ndarray) -> np.ndarray:
 
 
 def _mode(edges: np.ndarray, counts: np.ndarray, i: int) -> float:
-    """The edge away from the taller neighbour; the centre between equal ones."""
-    left, right = (int(counts[j]) if 0 <= j < len(counts) else 0 for j in (i - 1, i + 1))
+    """The edge away from the taller neighbour; the centre between equal ones. Beyond a border stands the bin itself."""
+    left, right = (int(counts[min(max(j, 0), len(counts) - 1)]) for j in (i - 1, i + 1))
     return float(edges[i + 1] if left > right else edges[i] if left < right else (edges[i] + edges[i + 1]) / 2)
 
 
 def secondary_modes(counts: np.ndarray) -> list[int]:
-    """Local maxima of at least 15 % of the main one, parted from it by a valley; tallest first."""
+    """Local maxima of at least 15 % of the main one, parted from it by a valley; tallest first.
+
+    Inside, the start of a plateau may rise or stay level from the left; a border bin must be higher than its one neighbour.
+    """
     main = int(np.argmax(counts))
-    padded = np.concatenate([[-1], counts, [-1]])
+    step = np.diff(counts)
+    rises = np.concatenate([[True], step >= 0])
+    rises[-1:] &= len(step) > 0 and step[-1] > 0
+    falls = np.concatenate([step < 0, [True]])
     out = []
-    for i in np.flatnonzero((padded[1:-1] >= padded[:-2]) & (padded[1:-1] > padded[2:])):
+    for i in np.flatnonzero(rises & falls):
         between = counts[min(i, main) : max(i, main) + 1]
         if i != main and counts[i] >= MIN_PEAK_SHARE * counts[main] and between.min() < VALLEY * min(counts[i], counts[main]):
             out.append(int(i))
@@ -147,4 +154,17 @@ def session_stats(df: DataFrame, rates: DataFrame, found: DataFrame, keys: list[
     bpm = F.when(F.col("is_valid"), F.col("rr_bpm"))
     by_rate = rates.groupBy(*keys).agg(F.avg(bpm).alias("rr_mean"), median(bpm).alias("rr_median"), (F.percentile(bpm, F.lit(0.75)) - F.percentile(bpm, F.lit(0.25))).alias("rr_iqr"), F.count_if("is_valid").alias("n_blocks_valid"), F.count(F.lit(1)).alias("n_blocks"))
     by_volume = found.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_breaths"), F.percentile("volume", F.lit(0.9)).alias("volume_p90"))
-    return got.join(by_rate, keys, "left").join(by_volume, keys, "left").fillna(0, ["n_breaths", "n_blocks_valid", "n_blocks"])
+    modes = volume_histogram(found, keys).select(*keys, F.col("mode").alias("tidal_mode"))
+    for part in (by_rate, by_volume, modes):
+        got = null_safe_join(got, part, keys, "left")
+    got = got.fillna(0, ["n_breaths", "n_blocks_valid", "n_blocks"]).withColumn("flow_iqr", F.col("flow_p75") - F.col("flow_p25"))
+    got = got.withColumn("rr_coverage_pct", F.when(F.col("n_blocks") > 0, 100 * F.col("n_blocks_valid") / F.col("n_blocks")).otherwise(0.0))
+    said = [(F.col("n_valid") == 0, "no valid sample"), (F.col("n_breaths") == 0, "no breath found"), (F.col("n_blocks_valid") == 0, "no block with a respiratory rate")]
+    return got.withColumn("warnings", F.filter(F.array(*[F.when(c, F.lit(text)) for c, text in said]), lambda x: x.isNotNull()))
+
+
+def volume_distribution(found: DataFrame, keys: list[str]) -> DataFrame:
+    """The histogram of the volumes with bias-corrected skewness, Sarle's coefficient and ``bimodal``: above 5/9 with a second mode."""
+    shape = distribution(found, keys, "volume").select(*keys, "n", "skew", "bimodality")
+    out = null_safe_join(volume_histogram(found, keys), shape, keys)
+    return out.withColumn("bimodal", F.coalesce(F.col("bimodality") > 5 / 9, F.lit(False)) & (F.size("secondary") > 0))

@@ -101,6 +101,7 @@ def events_report(events: DataFrame, removals: DataFrame, usage: DataFrame, keys
     """One row per key: AHI figures, suspect share, events by hour, and mask removals with their hours."""
     off = removals.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_mask_removals"), (F.sum(F.col("end_sec") - F.col("start_sec")) / 3600).alias("mask_removal_hours"))
     out = ahi(events, usage, keys).join(events_by_hour(events, keys), keys, "left").join(off, keys, "left").fillna(0, ["n_mask_removals", "mask_removal_hours"])
+    out = out.withColumn("by_hour", F.coalesce("by_hour", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))))
     suspect = F.col("n_events") - F.col("n_confident")
     share = F.when(F.col("n_events") > 0, F.bround(100 * suspect / F.col("n_events"), 1)).otherwise(0.0)
     return out.withColumn("n_suspect", suspect).withColumn("suspect_pct", share)

@@ -25,3 +25,10 @@ def islands(df: DataFrame, keys: list[str], order: list[str], flag: str) -> Data
     w = Window.partitionBy(*keys).orderBy(*order)
     marked = df.withColumn("__run", F.row_number().over(w) - F.sum(F.col(flag).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return marked.filter(flag).groupBy(*keys, "__run").agg(F.min(order[0]).alias("start"), F.max(order[0]).alias("end"), F.count(F.lit(1)).alias("n")).drop("__run")
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """An equi join on ``keys`` in which null equals null, with the keys and columns of ``left`` kept."""
+    other = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    same = [left[k].eqNullSafe(other[f"__r_{k}"]) for k in keys]
+    return left.join(other, same, how).drop(*[f"__r_{k}" for k in keys])

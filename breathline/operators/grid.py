@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from breathline.operators.frames import islands, median
+from breathline.operators.frames import islands, median, null_safe_join
 
 DEFAULT_PERIOD_S = 0.040
 GAP_S = 5.0
@@ -54,17 +54,17 @@ def resample(df: DataFrame, keys: list[str], value: str, target_hz: float | None
     finer = F.lit(1.0) / F.col("period_s") > (1 + 1e-6) / F.col("measured")
     grid = spans.select(*keys, "t0", "step", finer.alias("finer"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("bin"))
     grid = grid.select(*keys, "bin", (F.col("t0") + F.col("bin") * F.col("step")).alias("t"), "step", "finer")
-    placed = rows.join(spans.filter(~finer).select(*keys, "t0", "step", "n"), keys)
+    placed = null_safe_join(rows, spans.filter(~finer).select(*keys, "t0", "step", "n"), keys)
     at = F.floor((micros(ts) - F.col("t0")) / F.col("step"))
     placed = placed.withColumn("bin", F.least(F.greatest(at, F.lit(0)), F.col("n") - 1).cast("long"))
     agg = (median if method == "median" else F.avg)(F.col("value"))
     binned = placed.groupBy(*keys, "bin").agg(agg.alias("value"), F.min_by(ts, F.col(tie)).alias("orig_ts"), F.lit(False).alias("missing"))
-    coarse = grid.filter(~F.col("finer")).join(binned, [*keys, "bin"], "left").withColumn("missing", F.coalesce("missing", F.lit(True)))
+    coarse = null_safe_join(grid.filter(~F.col("finer")), binned, [*keys, "bin"], "left").withColumn("missing", F.coalesce("missing", F.lit(True)))
     out = coarse.select(*keys, "bin", from_micros(F.col("t")).alias("ts"), "orig_ts", "value", "missing")
     if not target_hz:
         return out
     points = grid.filter("finer")
-    samples = rows.join(spans.filter(finer).select(*keys, "step"), keys).select(*keys, micros(ts).alias("t"), tie, "step", F.struct(micros(ts).alias("t"), "value").alias("s"))
+    samples = null_safe_join(rows, spans.filter(finer).select(*keys, "step"), keys).select(*keys, micros(ts).alias("t"), tie, "step", F.struct(micros(ts).alias("t"), "value").alias("s"))
     both = samples.withColumn("bin", F.lit(None).cast("long")).unionByName(points.select(*keys, "t", "step", "bin"), allowMissingColumns=True)
     w = Window.partitionBy(*keys).orderBy("t", F.col(tie).asc_nulls_last())
     both = both.withColumn("a", F.last("s", True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("b", F.first("s", True).over(w.rowsBetween(0, Window.unboundedFollowing)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from breathline.operators.frames import centred, islands, median, rolling
+from breathline.operators.frames import centred, islands, median, null_safe_join, rolling
 from breathline.operators.grid import second
 
 FLAT_TOLERANCE = 1e-3
@@ -78,7 +78,7 @@ def flag_drift(df: DataFrame, keys: list[str], value: str, ts: str = "ts", windo
     spread = F.coalesce(F.nullif(F.stddev_pop("__m").over(whole), F.lit(0.0)), F.lit(1e-9))
     off = F.abs(trailing - median(F.col("__m")).over(whole)) > tolerance * spread
     env = env.select(*keys, "__sec", (F.coalesce(off, F.lit(False)) & (F.count(F.lit(1)).over(whole) >= width)).alias("drift"))
-    return df.withColumn("__sec", second(ts)).join(env, [*keys, "__sec"]).drop("__sec")
+    return null_safe_join(df.withColumn("__sec", second(ts)), env, [*keys, "__sec"]).drop("__sec")
 
 
 def artifacts(df: DataFrame, keys: list[str], value: str, ts: str = "ts", tie: str = "seq", lo: float | None = None, hi: float | None = None, factor: float = 25.0, window_s: float = 300.0, tolerance: float = 0.5) -> DataFrame:
@@ -91,18 +91,40 @@ def artifacts(df: DataFrame, keys: list[str], value: str, ts: str = "ts", tie: s
 
 def artifact_intervals(flagged: DataFrame, keys: list[str], ts: str = "ts", tie: str = "seq") -> DataFrame:
     """(keys, start, end, n, kind): runs of flagged samples; the end is the last one."""
-    parts = [islands(flagged, keys, [ts, tie], kind).withColumn("kind", F.lit(kind)) for kind in KINDS]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    w = Window.partitionBy(*keys).orderBy(ts, tie)
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    # One sort for all kinds: a flagged sample's run number is its place less the flagged ones so far.
+    numbered = flagged.select(*keys, F.col(ts).alias("__at"), *KINDS, *[(F.row_number().over(w) - F.sum(F.col(k).cast("int")).over(so_far)).alias(f"__{k}") for k in KINDS])
+    each = F.array(*[F.when(F.col(k), F.struct(F.lit(k).alias("kind"), F.col(f"__{k}").alias("run"))) for k in KINDS])
+    runs = numbered.select(*keys, "__at", F.explode(F.filter(each, lambda x: x.isNotNull())).alias("k"))
+    found = runs.groupBy(*keys, "k.kind", "k.run").agg(F.min("__at").alias("start"), F.max("__at").alias("end"), F.count(F.lit(1)).alias("n"))
+    return found.select(*keys, "start", "end", "n", "kind")
 
 
 def quality_report(flagged: DataFrame, intervals: DataFrame, keys: list[str]) -> DataFrame:
-    """Per key: samples, samples without any flag, their share, and the intervals by kind."""
-    total = flagged.groupBy(*keys).agg(F.count(F.lit(1)).alias("total_samples"), F.count_if(~F.col("in_qc")).alias("valid_samples"))
-    kinds = intervals.groupBy(*keys).agg(*[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in KINDS])
-    return total.withColumn("valid_pct", 100 * F.col("valid_samples") / F.col("total_samples")).join(kinds, keys, "left").fillna(0, [f"n_{k}" for k in KINDS])
+    """Per key: samples, samples without any flag, their share, and by kind the flagged samples (``n_``) and intervals (``runs_``)."""
+    flags = [F.count_if(F.col(k)).alias(f"n_{k}") for k in KINDS]
+    total = flagged.groupBy(*keys).agg(F.count(F.lit(1)).alias("total_samples"), F.count_if(~F.col("in_qc")).alias("valid_samples"), *flags)
+    runs = intervals.groupBy(*keys).agg(*[F.count_if(F.col("kind") == k).alias(f"runs_{k}") for k in KINDS])
+    return null_safe_join(total.withColumn("valid_pct", 100 * F.col("valid_samples") / F.col("total_samples")), runs, keys, "left").fillna(0, [f"runs_{k}" for k in KINDS])
+
+
+def require_signal(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``df`` with a check that fails the query where a key has no value at all: such a signal cannot be judged."""
+    n = F.count(value).over(Window.partitionBy(*keys))
+    return df.withColumn(value, F.when(n > 0, F.col(value)).otherwise(F.raise_error(F.concat_ws(" ", F.lit("no value in the signal of"), *[F.col(k).cast("string") for k in keys])).cast("double")))
+
+
+def spread(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, iqr): the distance of the quartiles by linear interpolation; null without values."""
+    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.75)))
+    return df.groupBy(*keys).agg(q.alias("q")).select(*keys, (F.col("q")[1] - F.col("q")[0]).alias("iqr"))
+
+
+def drift_findings(df: DataFrame, keys: list[str], ts: str = "ts", window_s: float = 300.0) -> DataFrame:
+    """(keys, finding) of the keys with fewer seconds than the drift window, where drift is not looked for."""
+    secs = df.groupBy(*keys).agg(F.countDistinct(second(ts)).alias("n")).filter(F.col("n") < max(2, round(window_s)))
+    return secs.select(*keys, F.format_string("drift detection skipped: %d s of signal, window %d s", F.col("n"), F.lit(max(2, round(window_s)))).alias("finding"))
 
 
 def night_blocks(df: DataFrame, keys: list[str], value: str, ts: str = "ts", tie: str = "seq", bed_start: str = "22:00:00", bed_end: str = "07:00:00", min_activity: float | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from breathline.operators.frames import centred, islands, median, rolling
 from breathline.operators.sessions import sampling_period, session_summary, sessionize
 from breathline.operators.signal import distribution, flag_clipping, flag_flatline, flag_spikes
-from breathline.plans import signal_queries
+from breathline.plans import night_queries, signal_queries
 
 KEYS, ORDER = ["user_id"], ["ts", "event_id"]
 
@@ -90,8 +90,8 @@ _PLANS = {
 
 
 def queries() -> dict:
-    return {name: plan for name, (plan, _) in _PLANS.items()} | signal_queries.queries()
+    return {name: plan for name, (plan, _) in _PLANS.items()} | signal_queries.queries() | night_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in _PLANS.items()} | signal_queries.oracle_sql()
+    return {name: sql for name, (_, sql) in _PLANS.items()} | signal_queries.oracle_sql() | night_queries.oracle_sql()

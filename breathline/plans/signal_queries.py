@@ -46,7 +46,7 @@ def _envelope(spark, sf_dir):
 
 
 def _removals(spark, sf_dir):
-    return events.mask_removals(_envelope(spark, sf_dir), KEYS, min_minutes=0.1, threshold=5.0)
+    return events.mask_removals(_envelope(spark, sf_dir), KEYS, min_minutes=0.05, threshold=12.0)
 
 
 def _events(spark, sf_dir):
@@ -105,8 +105,8 @@ _PLANS = {
     "activity_envelope": (lambda s, d: _round(_envelope(s, d)), _E + " SELECT device, sec, round(activity, 5) AS activity FROM env"),
     "mask_removals": (
         _removals,
-        _E + """, r AS (SELECT *, row_number() OVER w - sum(coalesce(activity < 5.0, false)::INT) OVER w AS run FROM env WINDOW w AS (PARTITION BY device ORDER BY sec))
-        SELECT device, min(sec) AS start_sec, max(sec) + 1 AS end_sec, CAST(5.0 AS DOUBLE) AS threshold FROM r WHERE activity < 5.0 GROUP BY device, run HAVING count(*) >= 6""",
+        _E + """, r AS (SELECT *, row_number() OVER w - sum(coalesce(activity < 12.0, false)::INT) OVER w AS run FROM env WINDOW w AS (PARTITION BY device ORDER BY sec))
+        SELECT device, min(sec) AS start_sec, max(sec) + 1 AS end_sec, CAST(12.0 AS DOUBLE) AS threshold FROM r WHERE activity < 12.0 GROUP BY device, run HAVING count(*) >= 3""",
     ),
     "event_timeline": (lambda s, d: events.timeline(_events(s, d), KEYS), _F + " SELECT * FROM t"),
     "ahi_estimate": (

@@ -37,11 +37,12 @@ def _decode(path: str, content: bytes, keep_last: bool) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays(columns, ["path", "packet", "year", "month", "day", "hour", "minute", "second", "words"])
 
 
-def read_packets(spark: SparkSession, folder: str, keep_last: bool = False) -> DataFrame:
+def read_packets(spark: SparkSession, folder: str, keep_last: bool = False, paths: list[str] | None = None) -> DataFrame:
     """(path, packet, ts, words) of all files ``*.NNN`` in a folder; file order is (path, packet).
 
     A packet with an impossible date has a null ``ts``. As in the recorder's own tools,
     the last full packet of a file is dropped unless ``keep_last``; a partial one always is.
+    Only the files ``paths`` are read if they are given.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,7 +50,7 @@ def read_packets(spark: SparkSession, folder: str, keep_last: bool = False) -> D
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 yield from _decode(path, content, keep_last)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[0-9][0-9][0-9]").load(folder).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[0-9][0-9][0-9]").load(paths or folder).select("path", "content")
     ts = F.expr("try_make_timestamp_ntz(year, month, day, hour, minute, second)")
     return files.mapInArrow(run, SCHEMA).select("path", "packet", ts.alias("ts"), "words")
 
