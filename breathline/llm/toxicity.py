@@ -42,7 +42,7 @@ ROUNDS = 4
 #: A clean text that is rejected weighs as much as so many toxic ones that pass, by rate.
 CLEAN_WEIGHT = 10.0
 #: Bytes of text in one numpy pass.
-PASS = 4 << 20
+PASS = 1 << 20
 
 _EDGE, _SPACE, _STOP, _MARK = 31, 32, 33, 34
 _DIM = 1 << 15
