@@ -38,12 +38,12 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         column = column.combine_chunks()
     if column.null_count:
         column = column.fill_null("")
-    column = column.cast(pa.large_string())
-    _, offsets, data = column.buffers()
+    _, offsets, data = column.buffers()  # read in place: a batch may hold many megabytes
     n = len(column)
     if not n or data is None:
         return np.zeros(0, np.uint8), np.zeros(n + 1, np.int64)
-    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + n + 1]
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    offsets = np.frombuffer(offsets, kind)[column.offset : column.offset + n + 1].astype(np.int64)
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 

@@ -43,6 +43,8 @@ ROUNDS = 4
 CLEAN_WEIGHT = 10.0
 #: Bytes of text in one numpy pass.
 PASS = 1 << 20
+#: Units whose features are held at once.
+BLOCK = 8192
 
 _EDGE, _SPACE, _STOP, _MARK = 31, 32, 33, 34
 _DIM = 1 << 15
@@ -153,8 +155,10 @@ def sentence_scores(weights: np.ndarray, found: Units) -> tuple[np.ndarray, np.n
     if not len(found.starts):
         return np.zeros(0), np.zeros(0, np.int64)
     first, of = _distinct(found)
-    unit, feature, value = _entries(found, first)
-    each = np.bincount(unit, weights[feature] * value, minlength=len(first))
+    each = np.zeros(len(first))
+    for i in range(0, len(first), BLOCK):
+        unit, feature, value = _entries(found, first[i : i + BLOCK])
+        each[i : i + BLOCK] = np.bincount(unit, weights[feature] * value, minlength=len(first[i : i + BLOCK]))
     opens = np.flatnonzero(np.concatenate(([True], found.sentence[1:] != found.sentence[:-1])))
     return np.add.reduceat(each[of], opens), found.row[opens]
 
