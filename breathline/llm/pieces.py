@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from breathline.llm.textvec import tidy
+
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Lattice nodes kept; the table is emptied between passes once it is larger.
@@ -265,4 +267,4 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed
                 yield pa.RecordBatch.from_arrays([part.column("id"), ids, kept], ["id", "ids", "lossless"])
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    return rows.mapInArrow(run, "id long, ids array<int>, lossless boolean")
+    return rows.mapInArrow(tidy(run), "id long, ids array<int>, lossless boolean")

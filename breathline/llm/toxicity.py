@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from breathline.llm.skew import text_hash, without
 from breathline.llm.storage import materialise
-from breathline.llm.textvec import passes, word_hashes
+from breathline.llm.textvec import passes, tidy, word_hashes
 
 DECAY = 0.6
 #: Offsets of the second and third character.
@@ -45,6 +45,8 @@ CLEAN_WEIGHT = 10.0
 PASS = 1 << 20
 #: Units whose features are held at once.
 BLOCK = 8192
+#: Sentences whose features are held at once, besides the landmarks.
+FEATURE_ROWS = 200
 
 _EDGE, _SPACE, _STOP, _MARK = 31, 32, 33, 34
 _DIM = 1 << 15
@@ -247,7 +249,7 @@ def _picker(weights: np.ndarray, seed: int):
     return run
 
 
-def _kernel(sentences: list[str], others: list[str] | None = None, step: int = 400) -> np.ndarray:
+def _kernel(sentences: list[str], others: list[str] | None = None, step: int = FEATURE_ROWS) -> np.ndarray:
     """The kernel of each sentence with each of the others, by blocks of bounded size."""
     others = sentences if others is None else others
     blocks = []
@@ -274,8 +276,7 @@ def _spread(sentences: list[str], most: int) -> list[str]:
 
 
 def _machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float) -> np.ndarray:
-    """Weights and bias of the squared-hinge machine, by Newton steps; ``x`` may be single precision."""
-    x = np.column_stack([x, np.ones(len(x), x.dtype)])
+    """Weights of the squared-hinge machine, the last one the bias, by Newton steps; ``x`` ends with ones and may be single precision."""
     y, cost = y.astype(x.dtype), cost.astype(x.dtype)
     w = np.zeros(x.shape[1])
     penalty = ridge * np.eye(len(w))
@@ -314,11 +315,15 @@ def _train(marks: list[str], turn: int):
         toxic = sorted(rows.worst[(rows.label == 1) & (rows.turn == turn)])
         clean = rows[rows.label == 0]
         clean = sorted(set(clean.worst) | set(clean.other[clean.turn == 0]))
-        x = np.vstack([vectors(part[i : i + 400]) @ basis.T @ lift for part in (toxic, clean) for i in range(0, len(part), 400)])
+        x = np.ones((len(toxic) + len(clean), lift.shape[1] + 1), np.float32)  # the last column is the bias
+        for first, part in ((0, toxic), (len(toxic), clean)):
+            for i in range(0, len(part), FEATURE_ROWS):
+                end = min(i + FEATURE_ROWS, len(part))
+                x[first + i : first + end, :-1] = vectors(part[i:end]) @ basis.T @ lift
         y = np.concatenate([np.ones(len(toxic)), -np.ones(len(clean))])
         cost = np.concatenate([np.full(len(part), 1 / len(part)) for part in (toxic, clean)])
         w = _machine(x, y, cost, RIDGE)
-        yield pa.RecordBatch.from_arrays([pa.array([basis.T @ (lift @ w[:-1])], pa.list_(pa.float64()))], ["weights"])
+        yield pa.RecordBatch.from_arrays([pa.array([(basis.T @ (lift @ w[:-1].astype(np.float32))).astype(np.float64)], pa.list_(pa.float64()))], ["weights"])
 
     return run
 
@@ -345,7 +350,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, landmarks:
     sample = materialise(sample.dropDuplicates(["label", "text"]).withColumn("left_out", F.crc32(F.concat(F.lit("left out "), "id").cast("binary")) % 4 == 0), "sample")
     spread_out = sample.repartition(max(2, docs.sparkSession.sparkContext.defaultParallelism))
     sums = [(0, np.zeros((2, _DIM)))] * 2
-    for row in spread_out.mapInArrow(_moments, "label int, n long, s array<double>").toLocalIterator():
+    for row in spread_out.mapInArrow(tidy(_moments), "label int, n long, s array<double>").toLocalIterator():
         n, s = sums[row.label]
         sums[row.label] = n + row.n, s + np.array(row.s).reshape(2, _DIM)
     if not sums[0][0] or not sums[1][0]:
@@ -355,7 +360,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, landmarks:
     weights = (mean[1] - mean[0]) / np.sqrt(spread + np.median(spread[spread > 0]))
     rows, marks = None, []
     for turn in range(rounds + 1):
-        found = materialise(spread_out.mapInArrow(_picker(weights, turn), "label int, left_out boolean, worst string, other string, high double").withColumn("turn", F.lit(turn)), "picked")
+        found = materialise(spread_out.mapInArrow(tidy(_picker(weights, turn)), "label int, left_out boolean, worst string, other string, high double").withColumn("turn", F.lit(turn)), "picked")
         if turn == rounds:
             break
         part = found.filter("not left_out and worst <> ''")
@@ -363,8 +368,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, landmarks:
         if turn == 0:
             if part.select("label").distinct().count() < 2:
                 return nothing
-            marks = [r.sentence for r in part.select("label", "worst").repartition(1).mapInArrow(_landmarks(landmarks), "sentence string").collect()]  # at most ``landmarks``
-        weights = np.array(rows.repartition(1).mapInArrow(_train(marks, turn), "weights array<double>").collect()[0].weights)
+            marks = [r.sentence for r in part.select("label", "worst").repartition(1).mapInArrow(tidy(_landmarks(landmarks)), "sentence string").collect()]  # at most ``landmarks``
+        weights = np.array(rows.repartition(1).mapInArrow(tidy(_train(marks, turn)), "weights array<double>").collect()[0].weights)
     high = found.select("label", "left_out", "high").toArrow().to_pandas()  # at most twice fit_rows figures
     for among in (high[high.left_out], high):
         good, bad = (among.high[among.label == k].to_numpy().round(6) for k in (0, 1))
@@ -388,7 +393,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(model.score(batch.column("text")))], ["id", "score"])
 
-    return docs.select("id", "text").mapInArrow(apply, "id long, score double")
+    return docs.select("id", "text").mapInArrow(tidy(apply), "id long, score double")
 
 
 def keep_clean(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", cut: float = 0.5) -> DataFrame:
@@ -401,5 +406,5 @@ def keep_clean(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
             yield batch.select(["id", "th"]).filter(bad)
 
     hashed = rows.withColumn("th", text_hash(F.coalesce("text", F.lit(""))))
-    rejected = hashed.select("id", "th", "text").mapInArrow(judge, "id long, th binary").distinct()
+    rejected = hashed.select("id", "th", "text").mapInArrow(tidy(judge), "id long, th binary").distinct()
     return without(docs, materialise(rejected, "toxic"), id_col, text_col)
