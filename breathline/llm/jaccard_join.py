@@ -245,7 +245,9 @@ def _groups(rows: DataFrame, k: int, percent: int, slots: int, rounds: int) -> D
             pairs = a.join(b, (a.t == b.t) & (F.col("ca") != F.col("cb")) & _fits(F.col("pa"), F.col("pb"), percent))
         else:
             # The head of a token and size class is the member with the fewest tokens before that one; classes shift by half from round to round.
-            rows_by = shared.withColumn("size", F.floor(F.log(_size(F.col("p")).cast("double")) / math.log(100 / percent) + 0.5 * (seed % 2)))
+            # A pair is one class, whatever its sizes: it is not looked at again.
+            size_class = F.floor(F.log(_size(F.col("p")).cast("double")) / math.log(100 / percent) + 0.5 * (seed % 2))
+            rows_by = shared.withColumn("size", F.when(F.col("c") > 2, size_class).otherwise(F.lit(-1).cast("long")))
             central = F.struct(_position(F.col("p")), F.xxhash64("key"), "key", "comp", "p")
             heads = (rows_by.filter("comp <> major") if seed else rows_by).groupBy("t", "size").agg(F.min(central).alias("h"))
             heads = heads.select("t", "size", F.col("h.key").alias("b"), F.col("h.comp").alias("cb"), F.col("h.p").alias("pb"))

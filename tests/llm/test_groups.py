@@ -90,3 +90,18 @@ def test_colliding_hashes_do_not_merge_texts(spark):
         by_text.setdefault(text or "", []).append(i)
     want = {i: (max(g), len(g), i == max(g)) for g in by_text.values() for i in g}
     assert {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in got} == want
+
+
+def pairs_of_all_sizes():
+    """Pairs of a text and a longer one that has it all, from 20 words on, so that some differ in size class."""
+    rows = []
+    for n in range(20, 130, 3):
+        words = [f"n{n}w{i}" for i in range(n + n // 7)]
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(words[:n]))]
+    return rows
+
+
+def test_pairs_of_different_size_classes_are_compared(spark):
+    rows = pairs_of_all_sizes()
+    got = jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string"), slots=1 << 10).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == links_of(rows)
