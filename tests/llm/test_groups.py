@@ -105,3 +105,12 @@ def test_pairs_of_different_size_classes_are_compared(spark):
     rows = pairs_of_all_sizes()
     got = jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string"), slots=1 << 10).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == links_of(rows)
+
+
+def test_pipeline_drops_pairs_of_different_size_classes(spark):
+    import corpus_pipeline
+
+    rows = pairs_of_all_sizes()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id for r in dict(corpus_pipeline.STAGES)["jaccard_join"](spark, docs, "").collect()}
+    assert got == {i for i, (_, keep) in links_of(rows).items() if i == keep}
