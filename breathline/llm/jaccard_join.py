@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -28,8 +29,8 @@ from breathline.llm.skew import is_small, lookup, text_hash, without
 from breathline.llm.storage import discard, materialise
 from breathline.llm.textvec import LOWER, passes, shingles, tidy, word_bounds, word_hashes
 
-#: Counters of the frequency order; a token's frequency class is that of its counter.
-SLOTS = 1 << 18
+#: Counters of the frequency order; a token's frequency class is that of its counter. They are counted and added in blocks.
+SLOTS, BLOCK = 1 << 22, 1 << 16
 #: Rounds of comparison with heads, and the comparisons per posting (some 20 ns each) from which on a further one is tried.
 ROUNDS, PAIRS_PER_POSTING = 6, 256
 #: Parity bits per set, by 64: two sets differ in at least as many tokens as bits.
@@ -72,16 +73,37 @@ def _sketch(found: np.ndarray, at: np.ndarray, longs: int, chosen: np.ndarray |
     return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * longs, pa.int32()), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
 
 
-_SCAN = "id long, th binary, n long, sig binary, bits array<long>, asc array<long>, desc array<long>, slot int, c long"
+_SCAN = "id long, th binary, n long, sig binary, bits array<long>, asc array<long>, desc array<long>, block int, counts binary"
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    """Low bytes, then the rest: most counts are small, so this is some two bits a counter."""
+    return zlib.compress((counts & 255).astype(np.uint8).tobytes() + (counts >> 8).astype(np.uint32).tobytes(), 1)
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    raw = zlib.decompress(packed)
+    size = len(raw) // 5
+    return np.frombuffer(raw, np.uint8, size).astype(np.int64) + (np.frombuffer(raw, np.uint32, size, size).astype(np.int64) << 8)
+
+
+def _classes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, ranks) of the counters' blocks: the frequency class of each counter, by quarters of a power of two."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, packed in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+            sums[block] = sums.get(block, 0) + _unpacked(packed)
+    ranks = [np.floor(4 * np.log2(1 + c)).astype(np.uint8).tobytes() for c in sums.values()]
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(ranks, pa.binary())], ["block", "ranks"])
 
 
 def _scan(k: int, percent: int, slots: int):
-    """Per row its id, text hash, set size, digest and sketches; then per task the counts of the token slots."""
+    """Per row its id, text hash, set size, digest and sketches; then per task the counts of the token slots, by block."""
     names = [f.split()[0] for f in _SCAN.split(", ")]
     longs = pa.list_(pa.int64())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(slots, np.int64)
+        counts = np.zeros(slots, np.uint32)
         for batch in batches:
             for first, end, found, at in _sets(batch, k):
                 np.add.at(counts, (found & np.uint64(slots - 1)).astype(np.int64), 1)
@@ -90,11 +112,12 @@ def _scan(k: int, percent: int, slots: int):
                 length = np.repeat(_prefix_length(n, percent), n)
                 orders = [_sketch(found, at, ORDER_LONGS, part) for part in (place < length, place >= np.repeat(n, n) - length)]
                 own = [batch.column(c).slice(first, rows) for c in ("id", "th")]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(n, pa.int64()), _digest(found, at), _sketch(found, at, PARITY_LONGS), *orders, pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.int64())], names)
-        used = np.flatnonzero(counts)
-        for part in np.array_split(used, len(used) // 65536 + 1):
-            none = [pa.nulls(len(part), t) for t in (pa.int64(), pa.binary(), pa.int64(), pa.binary(), longs, longs, longs)]
-            yield pa.RecordBatch.from_arrays([*none, pa.array(part, pa.int32()), pa.array(counts[part], pa.int64())], names)
+                yield pa.RecordBatch.from_arrays([*own, pa.array(n, pa.int64()), _digest(found, at), _sketch(found, at, PARITY_LONGS), *orders, pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
+        for first in range(0, slots, BLOCK):
+            part = counts[first : first + BLOCK]
+            if part.any():
+                none = [pa.nulls(1, t) for t in (pa.int64(), pa.binary(), pa.int64(), pa.binary(), longs, longs, longs)]
+                yield pa.RecordBatch.from_arrays([*none, pa.array([first // BLOCK], pa.int32()), pa.array([_packed(part)])], names)
 
     return run
 
@@ -198,13 +221,13 @@ def _groups(rows: DataFrame, k: int, percent: int, slots: int, rounds: int) -> D
     """(id, th, n, keep): ``rows`` has (id, text, th), th the 128-bit hash of the text; keep is the (id, th) that stays."""
     spark = rows.sparkSession
     scan = materialise(rows.mapInArrow(tidy(_scan(k, percent, slots)), _SCAN), "scan")
-    sums = scan.filter("slot is not null").groupBy("slot").agg(F.floor(4 * F.log2(1 + F.sum("c"))).cast("short").alias("rank"))
-    table = sums.toArrow()  # at most ``slots`` rows of six bytes
+    blocks = scan.filter("block is not null").select("block", "counts").repartition("block")
     ranks = np.zeros(slots, np.uint8)
-    ranks[table["slot"].to_numpy()] = table["rank"].to_numpy()
+    for row in blocks.mapInArrow(tidy(_classes), "block int, ranks binary").collect():  # a byte for each slot
+        ranks[row.block * BLOCK :][: len(row.ranks)] = np.frombuffer(row.ranks, np.uint8)
     classes = spark.sparkContext.broadcast(ranks)
 
-    found = scan.filter("slot is null")
+    found = scan.filter("block is null")
     one = F.min(F.struct("id", "th")).alias("rep")
     groups = found.filter("sig is not null and id is not null").groupBy("sig").agg(one, F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("bits", "asc", "desc")])
     members = materialise(groups.select("sig", "rep.id", "rep.th", "n", "copies", "bits", "asc", "desc").withColumn("key", F.monotonically_increasing_id()), "members")
