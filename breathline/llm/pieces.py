@@ -25,9 +25,9 @@ from breathline.llm.textvec import tidy
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Lattice nodes kept; the table is emptied between passes once it is larger.
-TABLE_NODES = 2_000_000
+TABLE_NODES = 1_000_000
 #: Characters of texts that advance together; a longer text is a pass of its own.
-PASS_CHARS = 400_000
+PASS_CHARS = 100_000
 #: Weight of one byte of a character that the vocabulary lacks.
 BYTE_WEIGHT = -12.0
 #: No piece of this length ends here.
@@ -72,28 +72,28 @@ class Sampler:
         self._empty()
 
     def _trie(self) -> None:
-        """Arcs by (state, character) in ascending order, their targets, and the piece that ends in each state."""
-        arcs, ends = {}, [-1]
+        """For each depth: arcs by (state, character) in ascending order and their targets; then the piece that ends in each state."""
+        arcs, ends = [{} for _ in range(self.longest)], [-1]
         for piece, i in self.id.items():
             state = 0
-            for char in map(ord, piece):
+            for char, known in zip(map(ord, piece), arcs):
                 key = (state << 21) + char
-                if key not in arcs:
-                    arcs[key] = len(ends)
+                if key not in known:
+                    known[key] = len(ends)
                     ends.append(-1)
-                state = arcs[key]
+                state = known[key]
             ends[state] = i
-        self.arcs = np.array(sorted(arcs), np.int64)
-        self.target = np.array([arcs[k] for k in sorted(arcs)], np.int64)
+        self.arcs = [np.array(sorted(known), np.int64) for known in arcs]
+        self.target = [np.array([known[k] for k in keys.tolist()], np.int32) for known, keys in zip(arcs, self.arcs, strict=True)]
         self.ends = np.array(ends, np.int32)
         self.weights = np.zeros(len(self.raw_size))
         for piece, i in self.id.items():
             self.weights[i] = self.weight[piece]
 
     def _empty(self) -> None:
-        """Node n's options are those whose edge lies in (n << 32, (n + 1) << 32]; an option is a piece and the node before it."""
+        """Node n's options start at first[n]: pieces with the node before each, up to ascending edges; the last edge is the largest number."""
         self.units: dict[str, int] = {}
-        self.nodes, self.edge, self.before, self.piece = 0, array("Q"), array("q"), array("i")
+        self.nodes, self.first, self.edge, self.before, self.piece = 0, array("i"), array("I"), array("i"), array("i")
 
     def _add(self, new: list[str]) -> None:
         """Filter forward through the lattices of new units, all together, and keep their nodes: one per character."""
@@ -105,18 +105,19 @@ class Sampler:
         left = np.repeat(size, size) - place
         share = np.full((len(chars), self.longest), -np.inf)
         piece = np.full((len(chars), self.longest), _NONE, np.int32)
+        flat_share, flat_piece = share.ravel(), piece.ravel()
         at = np.flatnonzero((place == 0) | (chars != ord(MARK)))
-        state = np.zeros(len(at), np.int64)
-        for length in range(1, self.longest + 1):
-            key = (state << 21) + chars[at + length - 1]
-            arc = np.minimum(np.searchsorted(self.arcs, key), len(self.arcs) - 1)
-            on = self.arcs[arc] == key
-            at, state = at[on], self.target[arc[on]]
+        state = np.zeros(len(at), np.int32)
+        for length, (arcs, target) in enumerate(zip(self.arcs, self.target, strict=True), 1):
+            key = (state.astype(np.int64) << 21) + chars[at + length - 1]
+            arc = np.minimum(np.searchsorted(arcs, key), len(arcs) - 1)
+            on = np.flatnonzero(arcs[arc] == key)
+            at, state = at[on], target[arc[on]]
             got = self.ends[state]
-            full = got >= 0
-            piece[at[full] + length - 1, length - 1] = got[full]
-            share[at[full] + length - 1, length - 1] = self.weights[got[full]]
-            on = left[at] > length
+            full = np.flatnonzero(got >= 0)
+            got, into = got[full], (at[full] + length - 1) * self.longest + length - 1
+            flat_piece[into], flat_share[into] = got, self.weights[got]
+            on = np.flatnonzero(left[at] > length)
             at, state = at[on], state[on]
         lone = np.flatnonzero(piece[:, 0] == _NONE)  # bytes, also for a word mark in the text itself
         n_bytes = 1 + (chars[lone] > 0x7F) + (chars[lone] > 0x7FF) + (chars[lone] > 0xFFFF)
@@ -132,19 +133,22 @@ class Sampler:
             sums = np.cumsum(np.exp(sums - top[:, None]), axis=1)
             alpha[rows] = top + np.log(sums[:, -1])
             share[rows, :wide] = sums / sums[:, -1:]
-        node, column = np.nonzero(piece != _NONE)
-        edge = np.floor(share[node, column] * 4294967296.0).astype(np.uint64)
-        edge[np.append(node[1:] != node[:-1], True)] = 4294967296
-        self.edge.frombytes((edge + ((node + self.nodes).astype(np.uint64) << np.uint64(32))).tobytes())
-        self.before.frombytes(np.where(column == place[node], -1, node + self.nodes - column - 1).astype(np.int64).tobytes())
-        self.piece.frombytes(piece[node, column].tobytes())
+        taken = np.flatnonzero(flat_piece != _NONE)
+        node, column = taken // self.longest, taken % self.longest
+        edge = np.minimum(np.floor(flat_share[taken] * 4294967296.0), 4294967295.0).astype(np.uint32)
+        edge[np.append(node[1:] != node[:-1], True)] = 4294967295
+        starts = len(self.edge) + np.flatnonzero(np.append(True, node[1:] != node[:-1]))
+        self.first.frombytes(starts.astype(np.int32).tobytes())
+        self.edge.frombytes(edge.tobytes())
+        self.before.frombytes(np.where(column == place[node], -1, node + self.nodes - column - 1).astype(np.int32).tobytes())
+        self.piece.frombytes(flat_piece[taken].tobytes())
         self.units.update(zip(new, (self.nodes + first + size - 1).tolist(), strict=True))
         self.nodes += len(chars)
 
-    def _learn(self, units: Iterable[str]) -> None:
-        """Add the units that the table lacks, in parts of at most PASS_CHARS characters or one unit."""
+    def _learn(self, new: set[str]) -> None:
+        """Add units that the table lacks, in parts of at most PASS_CHARS characters or one unit."""
         part, held = [], 0
-        for unit in sorted({u for u in units if u not in self.units}):
+        for unit in sorted(new):
             if part and held + len(unit) > PASS_CHARS:
                 self._add(part)
                 part, held = [], 0
@@ -153,6 +157,16 @@ class Sampler:
         if part:
             self._add(part)
 
+    def _ends(self, units: list[str]) -> np.ndarray:
+        """The last node of each unit; new units are learnt first."""
+        found = list(map(self.units.get, units))
+        lacking = [i for i, node in enumerate(found) if node is None]
+        if lacking:
+            self._learn({units[i] for i in lacking})
+            for i in lacking:
+                found[i] = self.units[units[i]]
+        return np.array(found, np.int32)
+
     def _spell(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Replace each character without a piece, held as -1 - its code point, by its byte pieces."""
         lone = np.flatnonzero(ids < 0)
@@ -171,21 +185,23 @@ class Sampler:
         if self.nodes > TABLE_NODES:
             self._empty()
         split = [t.split(" ") for t in texts]
-        self._learn(u for units in split for u in units)
-        known = self.units
-        at = np.array([known[u] for units in split for u in units], np.int64)
+        at = self._ends([u for units in split for u in units])
         sizes = np.array([len(units) for units in split], np.int64)
         ends = np.cumsum(sizes)
         number = np.arange(len(at)) - np.repeat(ends - sizes, sizes)
         seeds = np.repeat(np.array([_seed(k) for k in keys], np.uint64), sizes)
         state = _mix(seeds + _mix(number.astype(np.uint64) + np.uint64(1)))
-        edge, before, piece = (np.frombuffer(a, t) for a, t in ((self.edge, np.uint64), (self.before, np.int64), (self.piece, np.int32)))
-        active, drawn = np.arange(len(at)), []
-        count = np.zeros(len(at), np.int64)
+        first, edge, before, piece = (np.frombuffer(a, t) for a, t in ((self.first, np.int32), (self.edge, np.uint32), (self.before, np.int32), (self.piece, np.int32)))
+        active, drawn = np.arange(len(at), dtype=np.int32), []
+        count = np.zeros(len(at), np.int32)
         while len(active):
             state += _STEP
-            target = (at.astype(np.uint64) << np.uint64(32)) + (_mix(state) >> np.uint64(32))
-            option = np.searchsorted(edge, target, side="right")
+            target = np.minimum(_mix(state) >> np.uint64(32), np.uint64(4294967294)).astype(np.uint32)
+            option = first[at]
+            beyond = np.flatnonzero(edge[option] <= target)
+            while len(beyond):
+                option[beyond] += 1
+                beyond = beyond[edge[option[beyond]] <= target[beyond]]
             drawn.append((active, piece[option]))
             count[active] += 1
             at = before[option]

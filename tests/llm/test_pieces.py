@@ -1,6 +1,7 @@
 """Sampled segmentations: lossless, reproducible, and distributed as the lattice says."""
 
 import math
+from array import array
 from collections import Counter
 
 import pytest
@@ -34,3 +35,14 @@ def test_shares_follow_the_weights():
     for path, share in paths.items():
         p = share / total
         assert abs(drawn[path] / n - p) < 5 * math.sqrt(p * (1 - p) / n) + 1e-4
+
+
+def test_table_is_small_and_draws_are_those_of_the_edges():
+    own = Sampler()
+    texts = [f"unit{n} of number {n * n} in text {n}é" for n in range(300)]
+    ids, offsets = own.encode_many(texts, [str(n) for n in range(300)])
+    assert all(own.lossless(texts, ids, offsets))
+    parts = [own.encode(t, str(n)) for n, t in enumerate(texts)]
+    assert [i for p in parts for i in p] == ids.tolist()
+    held = sum(a.itemsize * len(a) for a in vars(own).values() if isinstance(a, array))
+    assert held <= 16 * len(own.edge)
