@@ -123,18 +123,25 @@ def _scan(k: int, percent: int, slots: int):
 
 
 def _prefixes(k: int, percent: int, classes):
-    """(key, t, p) of the prefix tokens under the frequency order; p holds the token's position and the set's size."""
+    """(key, t, p) of the prefix tokens under the frequency order; p holds the token's position and the set's size.
+
+    Of the rows of a member that is there ``again`` only the first of each task counts.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = classes.value
+        rank, done = classes.value, set()
         for batch in batches:
             keys = batch.column("key").to_numpy()
+            use = np.ones(len(keys), bool)
+            for r in np.flatnonzero(batch.column("again").to_numpy(zero_copy_only=False)):
+                use[r] = keys[r] not in done
+                done.add(keys[r])
             for first, end, found, at in _sets(batch, k):
                 n = np.diff(at)
                 owner = np.repeat(np.arange(len(n)), n)
                 order = np.lexsort((found, rank[(found & np.uint64(len(rank) - 1)).astype(np.int64)], owner))
                 place = np.arange(len(found)) - at[owner]
-                head = place < _prefix_length(n, percent)[owner]
+                head = (place < _prefix_length(n, percent)[owner]) & use[first:end][owner]
                 owner = owner[head]
                 packed = (place[head] << 32) | n[owner]
                 yield pa.RecordBatch.from_arrays([pa.array(keys[first:end][owner]), pa.array(found[order][head].view(np.int64)), pa.array(packed)], ["key", "t", "p"])
@@ -232,15 +239,22 @@ def _groups(rows: DataFrame, k: int, percent: int, slots: int, rounds: int) -> D
     groups = found.filter("sig is not null and id is not null").groupBy("sig").agg(one, F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("bits", "asc", "desc")])
     members = materialise(groups.select("sig", "rep.id", "rep.th", "n", "copies", "bits", "asc", "desc").withColumn("key", F.monotonically_increasing_id()), "members")
     total = found.count()
+    # A posting is to come once: a row that repeats an id and its text would cancel itself out of the lists of members below.
+    again = found.filter("sig is not null and id is not null").groupBy("id", "th").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    again = materialise(again.select("id", "th", F.lit(True).alias("again")), "again")
+    repeats = again.limit(1).count() > 0
 
     def with_texts(some: DataFrame) -> DataFrame:
         """``some`` (id, th, ...) with the texts of these rows; equal rows come as often as they are there."""
         return rows.join(F.broadcast(some) if is_small(some) else some, ["id", "th"]).drop("id", "th")
 
-    posts = with_texts(members.select("id", "th", "key")).mapInArrow(tidy(_prefixes(k, percent, classes)), "key long, t long, p long")
+    told = members.select("id", "th", "key")
+    told = materialise(told.join(again, ["id", "th"], "left").fillna(False, "again"), "told") if repeats else told.withColumn("again", F.lit(False))
+    posts = with_texts(told).mapInArrow(tidy(_prefixes(k, percent, classes)), "key long, t long, p long")
     # Dealt once by token: the counts and the join use the same exchange. Of tokens in the very same
     # members the first one in the order is enough, for it is the first common token of their pairs.
     dealt = posts.filter("t is not null").repartition("t")  # as the join would filter, else the exchanges differ
+    dealt = dealt.distinct() if repeats else dealt
     lists = [F.bit_xor(F.xxhash64("key", F.lit(i))).alias(f"s{i}") for i in (1, 2)]
     often = dealt.groupBy("t").agg(F.count(F.lit(1)).alias("c"), *lists, F.min(_position(F.col("p"))).alias("first")).filter("c > 1")
     once = often.groupBy("c", "s1", "s2").agg(F.min_by("t", "first").alias("t")).select("t", "c")
@@ -257,7 +271,7 @@ def _groups(rows: DataFrame, k: int, percent: int, slots: int, rounds: int) -> D
             left = per.agg(F.coalesce(F.sum((F.col("times") * F.col("times") - F.col("sq")) / 2), F.lit(0.0)).alias("x")).first().x
             if not left:
                 break
-            shared = materialise(lookup(shared, per.select("t", "times", "major"), "t", "times", size).drop("times"), "shared")
+            shared = materialise(lookup(shared.drop("major"), per.select("t", "times", "major"), "t", "times", size).drop("times"), "shared")
         elif not size:
             break
         last = seed == rounds or (seed > 0 and (left <= PAIRS_PER_POSTING * size or (before is not None and left > 0.9 * before)))

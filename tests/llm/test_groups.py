@@ -114,3 +114,25 @@ def test_pipeline_drops_pairs_of_different_size_classes(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id for r in dict(corpus_pipeline.STAGES)["jaccard_join"](spark, docs, "").collect()}
     assert got == {i for i, (_, keep) in links_of(rows).items() if i == keep}
+
+
+def test_repeated_rows_keep_their_links(spark):
+    import corpus_pipeline
+
+    rows = pairs_of_all_sizes()[:30] + [(1000 + i, t) for i, t in large_group()[:8]]
+    want = links_of(rows)
+    docs = spark.createDataFrame(rows * 2 + rows[:6] * 3, "doc_id long, text string").repartition(3)
+    got = jaccard_groups(docs, slots=1 << 10).collect()
+    assert len(got) == docs.count()
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == {(i, *w) for i, w in want.items()}
+    kept = dict(corpus_pipeline.STAGES)["jaccard_join"](spark, docs, "").collect()
+    assert {r.doc_id for r in kept} == {i for i, (_, keep) in want.items() if i == keep}
+
+
+def test_rounds_without_links_go_on(spark, monkeypatch):
+    from breathline.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "PAIRS_PER_POSTING", 0)
+    rows = large_group()
+    got = jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string"), slots=1 << 10).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == links_of(rows)
